@@ -8,10 +8,14 @@
    shingle of any frequency spreads over tasks.  Rows of one shingle whose sizes the length
    filter lets through are chained; the chains' components are the candidate clusters: classes in
    different clusters can't be similar.
+   The sketch is of fixed size, so with very many shingles it can't tell those of shared passages
+   from rare ones, and passages chain clusters together.  The classes of clusters that are too
+   large for a task go through this step once more, with their exact frequencies, for which
+   their shingles are shuffled; what occurs once there can't match and goes no further.
 4. Only clustered classes' whole sets are shuffled, to their cluster.  There the join runs with
    the cluster's own exact frequencies as order and the length, positional and suffix filters,
    verifying a pair once, and not at all if its classes are already connected.  A cluster
-   larger than a task should hold is cut into blocks, and each pair of blocks is one task.
+   that is still larger than a task should hold is cut into blocks, and each pair of blocks is one task.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from .shingles import shingles
 
 #: The similarity, as a fraction of integers so that the comparison is exact.
 SIMILAR, OF = 80, 100
-SKETCH_BITS, SKETCH_BLOCK = 20, 16
+SKETCH_BITS, SKETCH_BLOCK = 22, 16
 #: Shingles of one cluster that a task should hold (8 bytes each).
 TASK_SHINGLES = 2_000_000
 SUFFIX_PARTS = 32
@@ -70,18 +74,17 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
         for block, part in enumerate(counts.reshape(-1, 1 << SKETCH_BLOCK)):
-            at = np.flatnonzero(part)
-            if len(at):
-                yield block, at.astype(np.uint16).tobytes(), part[at].astype(np.uint32).tobytes()
+            if part.any():
+                yield block, part.astype(np.uint8 if part.max() < 256 else np.uint32).tobytes()
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BLOCK, np.int64)
         for part in parts:
-            for at, n in zip(part["at"], part["n"], strict=True):
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            for n in part["n"]:
+                total += np.frombuffer(n, np.uint8 if len(n) == len(total) else np.uint32)
         yield pd.DataFrame({"block": [key[0]], "total": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    merged = map_rows(docs.select("text"), rows, "block int, at binary, n binary").groupBy("block").applyInPandas(merge, "block int, total binary")
+    merged = map_rows(docs.select("text"), rows, "block int, n binary").groupBy("block").applyInPandas(merge, "block int, total binary")
     out = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.uint32)
     for row in merged.collect():  # a fixed number of counters
         out[row.block] = np.frombuffer(row.total, np.uint32)
@@ -126,10 +129,12 @@ def _explode(classes: DataFrame) -> DataFrame:
     return classes.select("prefix", "n", "class").mapInArrow(run, "token long, n long, class long")
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` whose components hold every similar pair of classes."""
-    n = partitions(classes.sparkSession)
-    ordered = _explode(classes).repartitionByRange(n, "token", "n", "class").sortWithinPartitions("token", "n", "class")
+def candidate_edges(prefixes: DataFrame) -> DataFrame:
+    """Edges ``a, b`` whose components hold every similar pair of classes, from ``token, n, class``
+    of each prefix shingle."""
+    spark = prefixes.sparkSession
+    n = partitions(spark)
+    ordered = prefixes.select("token", "n", "class").repartitionByRange(n, "token", "n", "class").sortWithinPartitions("token", "n", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -164,10 +169,80 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     across = [(x[4], y[4]) for x, y in zip(ends, ends[1:], strict=False) if x[1] == 2 and y[1] == 1 and x[2] == y[2] and x[3] >= _least(y[3])]
     edges = found.filter("end = 0").select("a", "b")
     if across:
-        edges = edges.unionByName(classes.sparkSession.createDataFrame([(int(a), int(b)) for a, b in across], "a long, b long"))
+        edges = edges.unionByName(spark.createDataFrame([(int(a), int(b)) for a, b in across], "a long, b long"))
     return edges
 
 
+def exact_prefixes(docs: DataFrame, big: DataFrame) -> DataFrame:
+    """``token, n, class`` of the prefixes of some classes (``class, n, rep``), by exact frequency
+    among them; shingles that only one of them has can't match and are left out.
+
+    Rows of one shingle may lie in two partitions where it is the last or first one: such
+    shingles, two a partition at most, come last in the order on either side.
+    """
+    may_hold = id_filter(big.select(F.xxhash64("rep")), big.count())
+    n_parts = partitions(docs.sparkSession)
+    last = 1 << 40
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [s for s in map(shingles, batch.column(0).slice(at, 500).to_pylist()) if len(s)]
+                if sets:
+                    sizes = [len(s) for s in sets]
+                    columns = [np.concatenate(sets).view(np.int64), np.repeat([_class_of(s) for s in sets], sizes), np.repeat(sizes, sizes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "class", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        token, class_, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        run = np.cumsum(new) - 1
+        df = np.bincount(run)
+        df[[0, -1]] = last
+        df = df[run]
+        some = df > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, class_, n, df)], ["token", "class", "n", "df"])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        token, class_, n, df = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+        order = np.lexsort((token, df, class_))
+        token, class_, n = token[order], class_[order], n[order]
+        again = np.concatenate(([False], (token[1:] == token[:-1]) & (class_[1:] == class_[:-1])))
+        token, class_, n = token[~again], class_[~again], n[~again]
+        starts = np.flatnonzero(np.concatenate(([True], class_[1:] != class_[:-1])))
+        sizes = np.diff(np.append(starts, len(class_)))
+        place = np.arange(len(class_)) - np.repeat(starts, sizes) + (n - np.repeat(sizes, sizes))
+        some = place < n - _least(n) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, n, class_)], ["token", "n", "class"])
+
+    rows = docs.filter(may_hold(F.xxhash64(F.col("doc_id")))).select("text").mapInArrow(explode, "token long, class long, n long")
+    counted = rows.repartitionByRange(n_parts, "token", "class").sortWithinPartitions("token").mapInArrow(count, "token long, class long, n long, df long")
+    return counted.repartition(n_parts, "class").mapInArrow(prefix, "token long, n long, class long")
+
+
+def clusters(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cluster, class, n, rep, _n``: classes that may be similar to others, by cluster, and the
+    cluster's shingles in all."""
+
+    def of(prefixes: DataFrame) -> DataFrame:
+        found = components(candidate_edges(prefixes)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+        found = cut(found.join(classes.select("class", "n", "rep"), "class"))
+        sums = found.groupBy("cluster").agg(F.sum("n").alias("_n"))
+        return cut(found.join(sums, "cluster").select("cluster", "class", "n", "rep", "_n"))
+
+    found = of(_explode(classes))
+    big = found.filter(F.col("_n") > TASK_SHINGLES)
+    if big.isEmpty():
+        return found
+    return found.filter(F.col("_n") <= TASK_SHINGLES).unionByName(of(exact_prefixes(docs, big)))
+
+
 def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges that connect the similar pairs among some sets of shingles; with ``side``, of pairs
     from different sides only.  Within what they connect further pairs needn't be verified."""
@@ -217,11 +292,8 @@ def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tup
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges ``a, b`` between similar classes that connect just what all similar pairs connect."""
-    clustered = cut(components(candidate_edges(classes)).select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "n", "rep"), "class"))
-    weights = clustered.groupBy("cluster").agg(F.sum("n").alias("_n"))
-    blocks = F.ceil(2 * F.col("_n") / TASK_SHINGLES).cast("int")
-    sized = weights.select("cluster", F.when(F.col("_n") <= TASK_SHINGLES, 1).otherwise(blocks).alias("blocks"))
-    tasks = cut(clustered.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    blocks = F.when(F.col("_n") <= TASK_SHINGLES, 1).otherwise(F.ceil(2 * F.col("_n") / TASK_SHINGLES).cast("int"))
+    tasks = cut(clusters(docs, classes).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
 
     may_hold = id_filter(tasks.select(F.xxhash64("rep")), tasks.count())
     wanted = docs.select("doc_id", "text").filter(may_hold(F.xxhash64(F.col("doc_id"))))
