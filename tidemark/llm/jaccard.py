@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,7 +39,7 @@ from .shingles import shingles
 
 #: The similarity, as a fraction of integers so that the comparison is exact.
 SIMILAR, OF = 80, 100
-SKETCH_BITS, SKETCH_BLOCK = 22, 16
+SKETCH_BITS, SKETCH_BLOCK = 24, 16
 #: Shingles of one cluster that a task should hold (8 bytes each).
 TASK_SHINGLES = 2_000_000
 SUFFIX_PARTS = 32
@@ -59,35 +60,42 @@ def overlap_needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """About how many documents hold each shingle: the count of its hash's leading bits."""
+    """About how many documents hold each shingle, 255 at most: the count of its hash's leading bits."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         held: list[np.ndarray] = []
         size = 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+            held.clear()
+
         for (text,) in each:
-            held.append(shingles(text) >> np.uint64(64 - SKETCH_BITS))
+            held.append((shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
             size += len(held[-1])
             if size > 1 << 20:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
-                held, size = [], 0
+                add()
+                size = 0
         if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+            add()
         for block, part in enumerate(counts.reshape(-1, 1 << SKETCH_BLOCK)):
             if part.any():
-                yield block, part.astype(np.uint8 if part.max() < 256 else np.uint32).tobytes()
+                narrow = part.max() < 256
+                yield block, narrow, zlib.compress(part.astype(np.uint8 if narrow else np.uint32).tobytes(), 1)
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BLOCK, np.int64)
         for part in parts:
-            for n in part["n"]:
-                total += np.frombuffer(n, np.uint8 if len(n) == len(total) else np.uint32)
-        yield pd.DataFrame({"block": [key[0]], "total": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            for narrow, n in zip(part["narrow"], part["n"], strict=True):
+                total += np.frombuffer(zlib.decompress(n), np.uint8 if narrow else np.uint32)
+        yield pd.DataFrame({"block": [key[0]], "total": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
-    merged = map_rows(docs.select("text"), rows, "block int, n binary").groupBy("block").applyInPandas(merge, "block int, total binary")
-    out = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.uint32)
+    merged = map_rows(docs.select("text"), rows, "block int, narrow boolean, n binary").groupBy("block").applyInPandas(merge, "block int, total binary")
+    out = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.uint8)
     for row in merged.collect():  # a fixed number of counters
-        out[row.block] = np.frombuffer(row.total, np.uint32)
+        out[row.block] = np.frombuffer(row.total, np.uint8)
     return out.ravel()
 
 
@@ -298,22 +306,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     may_hold = id_filter(tasks.select(F.xxhash64("rep")), tasks.count())
     wanted = docs.select("doc_id", "text").filter(may_hold(F.xxhash64(F.col("doc_id"))))
 
-    def sets(each: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in each:
-            found = shingles(text)
-            if len(found):
-                yield doc_id, _class_of(found), found.tobytes()
-
-    whole = map_rows(wanted, sets, "_rep long, _class long, found binary")
-    rows = whole.join(tasks, (F.col("_class") == F.col("class")) & F.col("_rep").eqNullSafe(F.col("rep")))
+    # Texts are shuffled rather than sets of hashes: they are smaller, and they compress.
+    rows = wanted.join(tasks, F.col("doc_id").eqNullSafe(F.col("rep")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = rows.select("cluster", "class", "block", "found", F.explode(pairs).alias("_t")).select("cluster", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "block", "found")
+    dealt = rows.select("cluster", "class", "block", "text", F.explode(pairs).alias("_t")).select("cluster", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "block", "text")
     n = partitions(docs.sparkSession)
     dealt = dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "class")
 
     def join(each: Iterator[tuple]) -> Iterator[tuple]:
         for (_, i, j), task in groupby(each, key=lambda r: r[:3]):
-            held = {r[3]: (r[4], np.frombuffer(r[5], np.uint64)) for r in task}  # a row repeated with its id once
+            held = {}
+            for *_, class_, block, text in task:  # an id can be repeated with the same or another text
+                if class_ not in held and _class_of(found := shingles(text)) == class_:
+                    held[class_] = (block, found)
             names = list(held)
             if len(names) > 1:
                 for a, b in join_sets([held[c][1] for c in names], None if i == j else [held[c][0] for c in names]):
