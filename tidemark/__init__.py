@@ -1,0 +1 @@
+"""Temporal statistics of keyed time series on Spark."""
