@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out, map_rows
+from .shared import first_by_hash, held_out, map_rows
 
 NGRAM = 4
 HASHES = 2
@@ -144,8 +144,7 @@ def fit(docs: DataFrame) -> LanguageFilter:
     1 / SHARE n-grams for a language.
     """
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TEXT_CHARS))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("doc_id", "lang").withColumn("_at", F.row_number().over(by_hash)).filter(F.col("_at") <= TEXTS_PER_LANGUAGE)
+    ids = first_by_hash(train.select("doc_id", "lang"), "lang", TEXTS_PER_LANGUAGE)
     sample = train.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def first_by_hash(ids: DataFrame, group: str, most: int, shards: int = 32) -> DataFrame:
+    """The first ``most`` rows of each group by a hash of doc_id.
+
+    Chosen in shards of each group first, so that the task which has the last word for a group
+    reads ``most * shards`` rows at the most, however many the group has.
+    """
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    shard = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards))
+    few = ids.withColumn("_at", F.row_number().over(Window.partitionBy(group, shard).orderBy(*order))).filter(F.col("_at") <= most).drop("_at")
+    return few.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_at") <= most).drop("_at")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, with its lineage cut."""
     shared_folder(df.sparkSession)

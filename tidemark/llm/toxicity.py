@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, map_rows
+from .shared import first_by_hash, held_out, map_rows
 
 #: The bounded training sample: so many texts per class, by the order of a hash of doc_id, of
 #: texts no longer than this many code points.
@@ -175,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     so; null labels and texts don't count."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sized = docs.filter((F.length("text") <= TEXT_CHARS) & (F.length("text") > 0))
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("_at", F.row_number().over(by_hash)).filter(F.col("_at") <= TEXTS_PER_CLASS)
+    ids = first_by_hash(known, "toxic", TEXTS_PER_CLASS)
     sample = sized.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text", "doc_id")
     rows = sorted(sample.collect(), key=lambda r: (hash_order(r.doc_id), r.text))
     return train([(r.text, int(r.toxic)) for r in rows])
