@@ -18,7 +18,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .shared import map_rows
+from .shared import MEMORIES, map_rows
 
 #: A single space between two non-blank characters: no match of the pattern holds both sides of
 #: it other than by beginning with that space, so texts can be cut in front of it.
@@ -197,6 +197,9 @@ def encoder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(read_ranks(path), pattern)
 
 
+MEMORIES.append(encoder.cache_clear)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

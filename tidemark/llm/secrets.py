@@ -17,7 +17,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .shared import map_rows
+from .shared import MEMORIES, map_rows
 
 KINDS = ("assign", "access", "hex")
 #: The kind of span that the guess cost adds; it sorts after the base kinds.
@@ -125,6 +125,9 @@ def _costly(value: str) -> bool:
     return log10_guesses(value) >= MIN_LOG10_GUESSES
 
 
+MEMORIES.append(_costly.cache_clear)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, kind, end) of the base kinds, sorted by start, then kind as listed."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,13 @@ BLANK = r"\x20\x09-\x0D"
 
 #: Rows are handed on once their texts hold this many characters, so that a batch of very long
 #: documents never stands in a worker's memory whole.
-FLUSH_CHARS = 8_000_000
+FLUSH_CHARS = 4_000_000
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+#: In a Python worker: what empties the memories that outlive a task, and whose they are.
+MEMORIES: list[Callable[[], None]] = []
+OWNER: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +73,15 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    smaller_batches(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
+    owner = rows.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(owner)
+
         def each() -> Iterator[tuple]:
             for batch in batches:
                 step = 256
@@ -87,10 +99,37 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
                 held, size = [], 0
         if held:
             yield _batch(held, arrow)
+        held.clear()
+        release()
 
     return df.mapInArrow(run, kind)
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default, take ``BATCH_ROWS`` rows to an Arrow batch: a batch
+    of texts stands in memory twice, in the JVM and in the Python worker."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def take_over(owner: str) -> None:
+    """Called in a worker as a task begins: what another operator remembered there is dropped."""
+    if OWNER != [owner]:
+        for clear in MEMORIES:
+            clear()
+        OWNER[:] = [owner]
+        release()
+
+
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system; Spark keeps its Python
+    workers for further tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
