@@ -1,6 +1,8 @@
 """Operators against brute force on the driver's smallest tables and on planted cases."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -141,6 +143,52 @@ def test_secret_spans():
     assert secrets.log10_guesses("aaaaaaaaaaaa") < 4 and secrets.log10_guesses("19840321") < 5
     text = "pwd: x9$Kq!27vLmZ and pwd: password1"
     assert [(text[a:b], k) for a, b, k in secrets.guessed_spans(text, [])] == [("x9$Kq!27vLmZ", "guess")]
+    assert secrets.guessed_spans(text, [(0, 20, "assign")]) == [] and len(secrets.guessed_spans(text, [(0, 4, "hex"), (6, 16, "hex")])) == 1
+
+
+def plain_guesses(value):
+    """Every part tried at every place."""
+    low = value.lower()
+    plain = low.translate(secrets._LEET)
+
+    def parts(i, j):
+        word, letters = value[i:j], [secrets._alphabet(c) for c in value[i:j]]
+        yield sum(letters)
+        if j - i >= 3:
+            case = 0.0 if word.islower() or not word.isalpha() else 0.4 if word.istitle() else 1.0
+            yield from (math.log10(secrets._RANK[w] + 1) + extra + case for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)) if w in secrets._RANK)
+            places = [secrets._PLACE.get(c) for c in low[i:j]]
+            if all(a and b and a != b and abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1.1 for a, b in zip(places, places[1:], strict=False)):
+                yield math.log10(len(secrets._PLACE)) + 0.6 * (j - i)
+            if len(set(word)) == 1:
+                yield letters[0] + math.log10(j - i)
+        for width in range(2, min(12, (j - i) // 2) + 1):
+            if word == word[:width] * ((j - i) // width):
+                yield sum(letters[:width]) + math.log10((j - i) // width)
+        if (m := secrets._DATE.match(value, i)) and m.end() == j:
+            yield math.log10(365 * 60) if j - i > 4 else math.log10(120)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + cost + (1.0 if i else 0.0) for i in range(j) for cost in parts(i, j)))
+    return best[-1]
+
+
+def test_guess_cost_against_every_segmentation():
+    draw = random.Random(7)
+    pool = ["password", "qwer", "aaaa", "1984", "20200101", "ab", "P4ss", "W0rd", "!!", "123123", "Q", "é", "9", "love", "mnbv"]
+    for _ in range(400):
+        value = "".join(draw.choice(pool) for _ in range(draw.randint(1, 6)))
+        assert abs(secrets.log10_guesses(value) - plain_guesses(value)) < 1e-9, value
+
+
+def test_guess_cost_reads_whole_values():
+    assert secrets.log10_guesses("aaaaaaaa" * 20_000) < 8 < secrets.log10_guesses("a" * 300 + "x9$Kq!27vLmZ")
+    assert secrets.log10_guesses("x9$Kq!27vLmZ" * 200 + "kR5@") > secrets.log10_guesses("x9$Kq!27vLmZ" * 200)
+    assert secrets.log10_guesses("") == 0.0 and secrets.log10_guesses("İİİİqwertyuiop") > 8
+    value = "".join(chr(0x21 + i * i % 89) for i in range(600)).translate(str.maketrans("\"'<>,;", "abcdef"))
+    text = f"pwd: {value} end"
+    assert [(text[a:b], k) for a, b, k in secrets.guessed_spans(text, [])] == [(value, "guess")]
 
 
 def plain_pii(text):

@@ -12,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -24,8 +27,12 @@ KINDS = ("assign", "access", "hex")
 GUESSED = "guess"
 #: A value in a credential context is a secret if guessing it takes 10 ** this many tries.
 MIN_LOG10_GUESSES = 8.0
-#: Values longer than this are judged by their first so many characters' cost, which only grows.
-JUDGED_CHARS = 128
+#: Parts of one repeated character or of a keyboard walk are this long at most inside their stretch.
+PART_CHARS = 64
+#: The longest unit of a repeated sequence.
+LONGEST_UNIT = 12
+#: Costs of values up to this length are remembered.
+KEEP_CHARS = 128
 
 # --- fixed values: the base patterns -------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -35,9 +42,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Where else credentials stand; group 1 is the value.
 CONTEXTS = (
-    re.compile(r"""(?:passphrase|passcode|pwd|pass|credentials?|auth|bearer|private_?key|client_?secret|access_?key|signing_?key)["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,256})""", re.ASCII | re.IGNORECASE),
-    re.compile(r"""authorization["']?\x20*[:=]\x20*["']?(?:basic|bearer)\x20+([^\s"'<>,;]{6,256})""", re.ASCII | re.IGNORECASE),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{6,256})@""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""(?:passphrase|passcode|pwd|pass|credentials?|auth|bearer|private_?key|client_?secret|access_?key|signing_?key)["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,}+)""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""authorization["']?\x20*[:=]\x20*["']?(?:basic|bearer)\x20+([^\s"'<>,;]{6,}+)""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{6,}+)@""", re.ASCII | re.IGNORECASE),
 )
 #: A text without any of these can't match a context: a quick look before the patterns.
 HINTS = re.compile(r"pass|pwd|credential|auth|bearer|_?key|secret|://", re.ASCII | re.IGNORECASE)
@@ -64,68 +71,95 @@ def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.islower() else math.log10(52) if c.isupper() else math.log10(95)
 
 
-def _walk(value: str, start: int) -> int:
-    """End of the run of keys next to each other that begins at start."""
-    at = start + 1
-    while at < len(value) and value[at] in _PLACE and value[at - 1] in _PLACE:
-        (y, x), (v, u) = _PLACE[value[at - 1]], _PLACE[value[at]]
-        if abs(y - v) > 1 or abs(x - u) > 1.1 or value[at] == value[at - 1]:
-            break
-        at += 1
-    return at
+def _end(value: str, end: int, start: int, along: Callable[[int], bool]) -> int:
+    """End of the stretch around start in which ``along`` holds from each place to the next;
+    ``end`` is what this gave for an earlier place, so that a value is read once only."""
+    if end > start:
+        return end
+    end = start + 1
+    while end < len(value) and along(end):
+        end += 1
+    return end
 
 
 def log10_guesses(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value.
+    """log10 of the guesses for the cheapest segmentation of a whole value.
 
-    ``best[i]`` is the least cost of its first i characters; a part that ends at i adds its own
-    log-cost, and every part but the first a factor of ten for not knowing where it begins.
+    ``best[i]`` is the least cost of its first i characters; a part that begins at i adds its own
+    log-cost, and every part but the first a factor of ten for not knowing where it begins.  A
+    part of one repeated character or a keyboard walk is up to ``PART_CHARS`` long, or longer
+    where it begins or ends its whole stretch: so the work is linear in the value's length.
     """
-    value = value[:JUDGED_CHARS]
     n = len(value)
-    low = value.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
+
+    def beside(at: int) -> bool:
+        if low[at] == low[at - 1] or low[at] not in _PLACE or low[at - 1] not in _PLACE:
+            return False
+        (y, x), (v, u) = _PLACE[low[at - 1]], _PLACE[low[at]]
+        return abs(y - v) <= 1 and abs(x - u) <= 1.1
+
+    best = array("d", [math.inf]) * (n + 1)
+    best[0] = brute = 0.0  # brute: the cost of the first i characters where the last part is brute force
+    walked = same = 0
+    periods = [0] * (LONGEST_UNIT + 1)  # by width: where value[k] == value[k + width] ends
     for i in range(n):
+        if i:
+            best[i] = min(best[i], brute)
+        known = best[i] + (1.0 if i else 0.0)
+        alphabet = _alphabet(value[i])
+        brute = min(known, brute) + alphabet if i else alphabet
+
+        def part(end: int, cost: float, known: float = known) -> None:
+            if known + cost < best[end]:
+                best[end] = known + cost
+
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for spelt, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if spelt in _RANK:
                     case = 0.0 if value[i:j].islower() or not value[i:j].isalpha() else 0.4 if value[i:j].istitle() else 1.0
-                    parts[j].append((i, math.log10(_RANK[spelt] + 1) + extra + case))
+                    part(j, math.log10(_RANK[spelt] + 1) + extra + case)
                     break
-        end = _walk(low, i)
-        for j in range(i + 3, end + 1):
-            parts[j].append((i, math.log10(len(_PLACE)) + 0.6 * (j - i)))
-        run = i + 1
-        while run < n and value[run] == value[i]:
-            run += 1
-        for j in range(i + 3, run + 1):
-            parts[j].append((i, _alphabet(value[i]) + math.log10(j - i)))
-        for width in range(2, min(12, (n - i) // 2) + 1):
-            times, at = 1, i + width
-            while value[at : at + width] == value[i : i + width] and at + width <= n:
-                times, at = times + 1, at + width
+        fresh, walked = walked <= i, _end(low, walked, i, beside)
+        for j in _ends(i, walked, fresh):
+            part(j, math.log10(len(_PLACE)) + 0.6 * (j - i))
+        fresh, same = same <= i, _end(value, same, i, lambda at: value[at] == value[at - 1])
+        for j in _ends(i, same, fresh):
+            part(j, alphabet + math.log10(j - i))
+        for width in range(2, min(LONGEST_UNIT, (n - i) // 2) + 1):
+            end = max(periods[width], i)
+            if end == i:
+                while end + width < n and value[end] == value[end + width]:
+                    end += 1
+                periods[width] = end
+            times = (end - i) // width + 1
             if times > 1:
-                parts[at].append((i, sum(map(_alphabet, value[i : i + width])) + math.log10(times)))
+                part(i + times * width, sum(map(_alphabet, value[i : i + width])) + math.log10(times))
         if value[i].isdigit() and (m := _DATE.match(value, i)):
-            parts[m.end()].append((i, math.log10(365 * 60) if m.end() - i > 4 else math.log10(120)))
-    best = [0.0] + [math.inf] * n
-    brute = [0.0] + [math.inf] * n  # the same, where the last part is brute force
-    for j in range(1, n + 1):
-        open_new = best[j - 1] + (1.0 if j > 1 else 0.0)
-        brute[j] = min(open_new, brute[j - 1]) + _alphabet(value[j - 1])
-        best[j] = brute[j]
-        for i, cost in parts[j]:
-            best[j] = min(best[j], best[i] + cost + (1.0 if i else 0.0))
-    return best[n]
+            part(m.end(), math.log10(365 * 60) if m.end() - i > 4 else math.log10(120))
+    return min(best[n], brute)
+
+
+def _ends(start: int, end: int, fresh: bool) -> Iterable[int]:
+    """Where parts of three characters or more that begin at start end, in a stretch that ends at
+    end; ``fresh``: the stretch begins at start."""
+    if fresh or end <= start + PART_CHARS:
+        return range(start + 3, end + 1)
+    return (*range(start + 3, start + PART_CHARS + 1), end)
 
 
 @lru_cache(maxsize=100_000)
-def _costly(value: str) -> bool:
-    return log10_guesses(value) >= MIN_LOG10_GUESSES
+def _remembered(value: str) -> float:
+    return log10_guesses(value)
+
+
+def cost(value: str) -> float:
+    """:func:`log10_guesses`, remembered for values that are not long."""
+    return _remembered(value) if len(value) <= KEEP_CHARS else log10_guesses(value)
 
 
-MEMORIES.append(_costly.cache_clear)
+MEMORIES.append(_remembered.cache_clear)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -144,9 +178,11 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
     found = set()
     for pattern in CONTEXTS:
         for m in pattern.finditer(text):
-            if _costly(m[1]):
+            if cost(m[1]) >= MIN_LOG10_GUESSES:
                 found.add((m.start(1), m.end(1)))
-    return sorted((a, b, GUESSED) for a, b in found if not any(s <= a and b <= e for s, e, _ in base))
+    starts = [start for start, _, _ in base]
+    reach = list(accumulate((end for _, end, _ in base), max, initial=0))  # of the first so many base spans
+    return sorted((a, b, GUESSED) for a, b in found if reach[bisect_right(starts, a)] < b)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -165,7 +201,7 @@ def scan(docs: DataFrame) -> DataFrame:
             more = guessed_spans(text, base) if text else []
             both = sorted(base + more, key=lambda s: (s[0], order[s[2]]))
             values = [m for a, b, k in base if k == "assign" for m in [ASSIGN.match(text, a)]]
-            costs = [round(log10_guesses(m[2]), 4) for m in values]
+            costs = [round(cost(m[2]), 4) for m in values]
             yield doc_id, [dict(start=a, end=b, kind=k) for a, b, k in base], [dict(start=a, end=b, kind=k) for a, b, k in both], costs
 
     span = "array<struct<start:int,end:int,kind:string>>"
