@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, dedup, jaccard, mixing, shared, toxicity
 
+#: Stretches that a worker remembers while encoding: fewer than in a query by itself, as the
+#: executors' heaps have grown in the stages before.
+REMEMBERED = 300_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``."""
-    return bpe.round_trip(docs, keep_ids=True)
+    return bpe.round_trip(docs, keep_ids=True, keep=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -335,3 +335,10 @@ def test_queries_and_stages(spark):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and ids <= {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert out.filter("n_tokens * 4 <> octet_length(ids)").count() == 0
+
+
+def test_bpe_results_do_not_depend_on_what_is_remembered(rows):
+    path, pattern = bpe.default_vocabulary()
+    few, many = (bpe.ByteBpe(bpe.read_ranks(path), pattern, keep) for keep in (2, 100_000))
+    texts = [t for _, t, _, _ in rows][:60]
+    assert [few.pack(t) for t in texts] == [many.pack(t) for t in texts] and len(few.inner) <= 2 < len(many.inner)

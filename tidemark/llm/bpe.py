@@ -38,11 +38,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder for one table of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP):
         import ahocorasick
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.keep = ranks, keep
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -185,16 +185,16 @@ class _Memory(dict):
         whole = stretch if stretch[:1] == "\n" else self.lead + stretch
         ids = b"".join([packed[i] for piece in bpe.pattern.findall(whole) for i in bpe.encode_piece(piece.encode())])
         if len(stretch) <= KEEP_CHARS:
-            if len(self) >= KEEP:
+            if len(self) >= bpe.keep:
                 self.clear()
             self[stretch] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> ByteBpe:
+def encoder(path: str, pattern: str, keep: int = KEEP) -> ByteBpe:
     """One encoder per worker process; path is a rank file that every executor has."""
-    return ByteBpe(read_ranks(path), pattern)
+    return ByteBpe(read_ranks(path), pattern, keep)
 
 
 MEMORIES.append(encoder.cache_clear)
@@ -234,13 +234,14 @@ def decode(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> Dat
     return map_rows(encoded.select("doc_id", "ids"), rows, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: tuple[str, str] | None = None, keep_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """Encode and decode each text in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``
-    and, with ``keep_ids``, ``ids``.  Edge cases as in :func:`encode`."""
+    and, with ``keep_ids``, ``ids``.  ``keep`` bounds the stretches that a worker remembers; results
+    don't depend on it.  Edge cases as in :func:`encode`."""
     path, pattern = vocabulary or default_vocabulary()
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, keep)
         for doc_id, text in each:
             ids = bpe.pack(text) if text else b""
             row = doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
