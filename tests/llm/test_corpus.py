@@ -146,6 +146,16 @@ def test_secret_spans():
     assert secrets.guessed_spans(text, [(0, 20, "assign")]) == [] and len(secrets.guessed_spans(text, [(0, 4, "hex"), (6, 16, "hex")])) == 1
 
 
+def test_base_key_words_are_contexts_too():
+    spans = lambda text: [text[a:b] for a, b, _ in secrets.guessed_spans(text, secrets.base_spans(text))]
+    for key, value in (
+        ("password: ", "x9$Kq!27vLmZ"), ("passwd=#", "x9$Kq!27vLmZ"), ("secret = ", "!Zk83$qLw0p@T"), ("token: ", "$2b$12$abcdefghijk"), ("password => ", "x9Kq27vLmZ84"), ("api_key=", "&x9$Kq!27vLmZ"),
+        ("password=", "abcdef$gh!jkl#99Zq"), ("APIKEY: '", "ab$x9$Kq!27vLmZ"),
+    ):
+        assert spans(f"so {key}{value} end") == [("#" if key.endswith("#") else "") + value], key
+    assert spans("password=x9Kq27vLmZ84 and token: password1") == []
+
+
 def plain_guesses(value):
     """Every part tried at every place."""
     low = value.lower()
