@@ -156,6 +156,13 @@ def test_base_key_words_are_contexts_too():
     assert spans("password=x9Kq27vLmZ84 and token: password1") == []
 
 
+def test_urls_with_any_user_name_and_scheme():
+    for before in ("redis://", f"https://{'u' * 65}", "postgres://admin", f"{'s' * 30}+{'t' * 30}://me", f"https://{'u' * 100_000}", f"{'a' * 100_000}://u"):
+        text = f"see {before}:x9Kq27vLmZ84@host"
+        assert [text[a:b] for a, b, _ in secrets.guessed_spans(text, [])] == ["x9Kq27vLmZ84"], before[:80]
+    assert secrets.guessed_spans("a" * 1_000_000 + "://" + "u" * 1_000_000 + " ://:x9Kq27vLmZ84@ http://host:8080/a@b", []) == []
+
+
 def plain_guesses(value):
     """Every part tried at every place."""
     low = value.lower()

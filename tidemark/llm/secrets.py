@@ -44,7 +44,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXTS = (
     re.compile(r"""(?:passphrase|passcode|password|passwd|pwd|pass|secret|token|api_?key|credentials?|auth|bearer|private_?key|client_?secret|access_?key|signing_?key)["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,}+)""", re.ASCII | re.IGNORECASE),
     re.compile(r"""authorization["']?\x20*[:=]\x20*["']?(?:basic|bearer)\x20+([^\s"'<>,;]{6,}+)""", re.ASCII | re.IGNORECASE),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{6,}+)@""", re.ASCII | re.IGNORECASE),
+    # Only the last character of the scheme is looked at: reading it from each place would not be linear.
+    re.compile(r"""(?<=[a-z0-9+.-])://[^\s:/@]*+:([^\s:/@]{6,}+)@""", re.ASCII | re.IGNORECASE),
 )
 #: A text without any of these can't match a context: a quick look before the patterns.
 HINTS = re.compile(r"pass|pwd|credential|auth|bearer|_?key|secret|token|://", re.ASCII | re.IGNORECASE)
