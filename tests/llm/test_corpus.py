@@ -279,6 +279,32 @@ def test_jaccard_on_documents(docs, rows):
     assert jaccard.keep_one(docs).count() == len({c for _, c in expected.values()})
 
 
+def test_keep_one_on_null_and_repeated_ids(spark, hard):
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts = [" ".join(f"{k}w{rng.randint(0, 500)}" for _ in range(60)) for k in range(9)]
+    a, b, c, d, e, f, g, h, alone = texts
+    made = [
+        (1, a), (None, a + " x"), (None, b), (None, c), (5, d), (5, a + " y"), (7, e), (7, e.upper()), (7, f), (8, g), (8, g + " z"), (9, h), (None, alone), (None, alone + " x"), (20, f + " x"), (20, ""), (20, ""), (21, None),
+    ]
+    for df in (hard, spark.createDataFrame(made, "doc_id long, text string").repartition(3)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        group = {i: c for i, (_, c) in brute_components([(i, t) for i, (_, t) in enumerate(rows)]).items()}
+        expected = Counter()
+        for k in set(group.values()):
+            ids = [rows[i][0] for i in group if group[i] == k]
+            expected[min(ids, key=lambda i: (i is None, i or 0)), k] += 1
+        kept = jaccard.keep_one(df)
+        of = {row: group[i] for i, row in enumerate(rows) if sets_of(row[1])}
+        lone = Counter(row for row in rows if not sets_of(row[1]))
+        found = [(r.doc_id, r.text) for r in kept.collect()]
+        assert kept.columns == df.columns
+        assert Counter(row for row in found if row in lone) == lone
+        assert Counter((row[0], of[row]) for row in found if row in of) == Counter({x: n for x, n in expected.items() if sets_of(rows[x[1]][1])})
+
+
 def test_components_in_rounds(spark):
     import random
 

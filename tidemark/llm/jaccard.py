@@ -31,6 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .bloom import drop_ids, id_filter
 from .components import components
@@ -328,12 +329,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class, component_id`` for every row of docs.
+    """``doc_id, n_shingles, class, component_id, kept_class`` for every row of docs.
 
     component_id is the smallest doc_id that can be reached by links, a link being a similarity
     of 80 % or more; rows with equal sets are always linked.  Null texts and texts without words
     have no shingles and stand alone; null ids count for nothing against others; extra columns
-    are not read; an empty table gives an empty result.
+    are not read; an empty table gives an empty result.  kept_class is the class of the component
+    that has that doc_id, the smallest if an id is repeated.
     """
     known = cut(members(docs))
     filled = known.filter("class is not null")
@@ -341,19 +343,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(filled.groupBy("class").agg(first.alias("f"), F.count("*").alias("rows")).select("class", F.col("f.doc_id").alias("rep"), F.col("f.n").alias("n"), F.col("f.prefix").alias("prefix"), "rows"))
     found = components(links(docs, classes))
     rooted = classes.select("class", "rep", "rows").join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    facts = cut(rooted.join(least, "root").select("class", "component_id", "rows"))
-    placed = attach(filled.select("doc_id", "n", "class"), facts, "class", "rows", "inner").select("doc_id", "n", "class", "component_id")
-    alone = known.filter("class is null").select("doc_id", "n", "class", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "class")).alias("f"))
+    least = least.select("root", F.col("f.rep").alias("component_id"), F.col("f.class").alias("kept_class"))
+    facts = cut(rooted.join(least, "root").select("class", "component_id", "kept_class", "rows"))
+    placed = attach(filled.select("doc_id", "n", "class"), facts, "class", "rows", "inner").select("doc_id", "n", "class", "component_id", "kept_class")
+    alone = known.filter("class is null").select("doc_id", "n", "class", F.col("doc_id").alias("component_id"), F.col("class").alias("kept_class"))
+    return placed.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id", "kept_class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the rows of the smallest
-    doc_id stay, with all columns; if rows repeat that id, one of them."""
+    """The rows of docs without near duplicates, with all columns: of each component one row of the
+    smallest doc_id stays (a null id only where there is no other), and every row without shingles.
+
+    Ids whose rows are all lost are dropped by id.  Where an id is null, or has rows that stay too
+    or stay more than once, its rows are told apart by their class.
+    """
     found = near_duplicates(docs)
-    found = cut(found.select("doc_id", "component_id"))
-    lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = drop_ids(docs, cut(lost))
-    repeated = not found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("class").eqNullSafe(F.col("kept_class"))
+    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), kept.alias("_kept")))
+    whole = cut(found.filter("_id is not null").groupBy("_id").agg(F.max("_kept").alias("_some")).filter("not _some").select("_id"))
+    rest = drop_ids(docs, whole)
+    rows = found.filter("_class is not null").groupBy("_id", "_class").agg(F.max("_kept").alias("_kept"), F.count("*").alias("rows"))
+    odd = cut(rows.filter("not _kept or rows > 1").join(whole, "_id", "left_anti").select("_id", "_class", "_kept"))
+    n = odd.count()
+    if not n:
+        return rest
+
+    @pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        found = map(shingles, texts)
+        return pd.Series([_class_of(x) if len(x) else None for x in found], dtype="Int64")
+
+    may_hold = id_filter(odd.select(F.xxhash64("_id")), n)
+    hashed = F.xxhash64(F.col("doc_id"))
+    looked = rest.filter(may_hold(hashed)).withColumn("_own", class_of("text"))
+    looked = looked.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_class")), "left")
+    once = looked.filter("_kept").dropDuplicates(["doc_id", "_own"])
+    return rest.filter(~may_hold(hashed)).unionByName(looked.filter("_kept is null").select(docs.columns)).unionByName(once.select(docs.columns))
