@@ -279,6 +279,21 @@ def test_jaccard_on_documents(docs, rows):
     assert jaccard.keep_one(docs).count() == len({c for _, c in expected.values()})
 
 
+@pytest.mark.parametrize("task", [2_000_000, 3000, 100])
+def test_jaccard_counts_every_link(spark, monkeypatch, task):
+    import random
+
+    made = [*near_copies(random.Random(6)), *((200 + i, f"a b c d e{i % 2}") for i in range(5)), (1000, None), (1001, "")]
+    sets = [sets_of(t) for _, t in made]
+    expected = {i: sum(bool(s & o) and 100 * len(s & o) >= 80 * len(s | o) for o in sets) - bool(s) for (i, _), s in zip(made, sets, strict=True)}
+    assert sum(expected.values()) > 1000
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", task)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    found, short = ({r.doc_id: r for r in jaccard.near_duplicates(docs, count).collect()} for count in (True, False))
+    assert {i: r.n_links for i, r in found.items()} == expected
+    assert {i: r.component_id for i, r in found.items()} == {i: r.component_id for i, r in short.items()}
+
+
 def test_keep_one_on_null_and_repeated_ids(spark, hard):
     import random
     from collections import Counter

@@ -14,8 +14,11 @@
    their shingles are shuffled; what occurs once there can't match and goes no further.
 4. Only clustered classes' whole sets are shuffled, to their cluster.  There the join runs with
    the cluster's own exact frequencies as order and the length, positional and suffix filters,
-   verifying a pair once, and not at all if its classes are already connected.  A cluster
-   that is still larger than a task should hold is cut into blocks, and each pair of blocks is one task.
+   verifying each pair once.  A task gives how many rows each class is linked to, and edges that
+   connect the linked classes, not the pairs themselves, whose number grows with the square of a
+   cluster.  Where only components are asked for, pairs that are already connected are left out.
+   A cluster that is still larger than a task should hold is cut into blocks, and each pair of
+   blocks is one task.
 """
 
 from __future__ import annotations
@@ -236,14 +239,14 @@ def exact_prefixes(docs: DataFrame, big: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cluster, class, n, rep, _n``: classes that may be similar to others, by cluster, and the
+    """``cluster, class, n, rep, rows, _n``: classes that may be similar to others, by cluster, and the
     cluster's shingles in all."""
 
     def of(prefixes: DataFrame) -> DataFrame:
         found = components(candidate_edges(prefixes)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
-        found = cut(found.join(classes.select("class", "n", "rep"), "class"))
+        found = cut(found.join(classes.select("class", "n", "rep", "rows"), "class"))
         sums = found.groupBy("cluster").agg(F.sum("n").alias("_n"))
-        return cut(found.join(sums, "cluster").select("cluster", "class", "n", "rep", "_n"))
+        return cut(found.join(sums, "cluster").select("cluster", "class", "n", "rep", "rows", "_n"))
 
     found = of(_explode(classes))
     big = found.filter(F.col("_n") > TASK_SHINGLES)
@@ -252,9 +255,10 @@ def clusters(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.filter(F.col("_n") <= TASK_SHINGLES).unionByName(of(exact_prefixes(docs, big)))
 
 
-def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the similar pairs among some sets of shingles; with ``side``, of pairs
-    from different sides only.  Within what they connect further pairs needn't be verified."""
+def join_sets(sets: list[np.ndarray], side: list[int] | None = None, rows: list[int] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that connect the similar pairs among some sets of shingles, and how many rows each set
+    is linked to, ``rows`` being how many have it; with ``side``, of pairs from different sides
+    only.  Without ``rows``, pairs within what is already connected aren't verified nor counted."""
     sizes = np.array([len(s) for s in sets])
     tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
@@ -270,6 +274,8 @@ def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tup
     postings: dict[int, list[tuple[int, int]]] = {}
     held = np.zeros(len(tokens), bool)
     edges = []
+    linked = np.zeros(len(sets), np.int64)
+    weight = None if rows is None else np.array(rows, np.int64)
     for x in order.tolist():
         n, mine = int(sizes[x]), ranked[x]
         p = prefix_size(n)
@@ -278,7 +284,9 @@ def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tup
             y, i, j = np.array(hits).T
             y, at, shared = np.unique(y, return_index=True, return_counts=True)  # at: the first shared one
             need = overlap_needed(n, sizes[y])
-            good = (sizes[y] >= _least(n)) & (1 + np.minimum(n - i[at], sizes[y] - j[at]) - 1 >= need) & (label[y] != label[x])
+            good = (sizes[y] >= _least(n)) & (1 + np.minimum(n - i[at], sizes[y] - j[at]) - 1 >= need)
+            if weight is None:
+                good &= label[y] != label[x]
             if side is not None:
                 good &= sides[y] != sides[x]
             y, need, shared = y[good], need[good], shared[good]
@@ -286,7 +294,16 @@ def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tup
                 fits = np.minimum(spread[x], spread[y]).sum(axis=1) >= need
                 y, need, shared = y[fits], need[fits], shared[fits]
             held[mine] = True
-            for k in np.argsort(-shared, kind="stable").tolist():
+            if weight is not None and len(y):
+                both = np.array([np.count_nonzero(held[ranked[k]]) for k in y.tolist()])
+                y = y[OF * both >= SIMILAR * (n + sizes[y] - both)]
+                linked[x] += weight[y].sum()
+                linked[y] += weight[x]
+                for other in y[np.unique(label[y], return_index=True)[1]].tolist():
+                    if label[other] != label[x]:
+                        edges.append((x, other))
+                        label[label == label[x]] = label[other]
+            for k in np.argsort(-shared, kind="stable").tolist() if weight is None else ():
                 other = int(y[k])
                 if label[other] != label[x]:
                     both = int(np.count_nonzero(held[ranked[other]]))
@@ -296,11 +313,13 @@ def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tup
             held[mine] = False
         for i, t in enumerate(mine[:p].tolist()):
             postings.setdefault(t, []).append((x, i))
-    return edges
+    return edges, linked
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between similar classes that connect just what all similar pairs connect."""
+def links(docs: DataFrame, classes: DataFrame, count: bool = True) -> DataFrame:
+    """Edges ``a, b`` between similar classes that connect just what all similar pairs connect, with
+    0 as ``rows``; and, if ``count``, rows whose a and b are one class, ``rows`` adding up to how
+    many rows of other classes that one is linked to."""
     blocks = F.when(F.col("_n") <= TASK_SHINGLES, 1).otherwise(F.ceil(2 * F.col("_n") / TASK_SHINGLES).cast("int"))
     tasks = cut(clusters(docs, classes).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
 
@@ -310,45 +329,56 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # Texts are shuffled rather than sets of hashes: they are smaller, and they compress.
     rows = wanted.join(tasks, F.col("doc_id").eqNullSafe(F.col("rep")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = rows.select("cluster", "class", "block", "text", F.explode(pairs).alias("_t")).select("cluster", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "block", "text")
+    dealt = rows.select("cluster", "class", "block", "rows", "text", F.explode(pairs).alias("_t")).select("cluster", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "block", "rows", "text")
     n = partitions(docs.sparkSession)
     dealt = dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "class")
 
     def join(each: Iterator[tuple]) -> Iterator[tuple]:
         for (_, i, j), task in groupby(each, key=lambda r: r[:3]):
             held = {}
-            for *_, class_, block, text in task:  # an id can be repeated with the same or another text
+            for *_, class_, block, rows, text in task:  # an id can be repeated with the same or another text
                 if class_ not in held and _class_of(found := shingles(text)) == class_:
-                    held[class_] = (block, found)
+                    held[class_] = (block, found, rows)
             names = list(held)
             if len(names) > 1:
-                for a, b in join_sets([held[c][1] for c in names], None if i == j else [held[c][0] for c in names]):
-                    yield names[a], names[b]
+                side = None if i == j else [held[c][0] for c in names]
+                edges, linked = join_sets([held[c][1] for c in names], side, [held[c][2] for c in names] if count else None)
+                for a, b in edges:
+                    yield names[a], names[b], 0
+                for k in np.flatnonzero(linked).tolist():
+                    yield names[k], names[k], int(linked[k])
 
-    return map_rows(dealt, join, "a long, b long")
+    return map_rows(dealt, join, "a long, b long, rows long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class, component_id, kept_class`` for every row of docs.
+def near_duplicates(docs: DataFrame, count: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, class, component_id, kept_class, n_links`` for every row of docs.
 
     component_id is the smallest doc_id that can be reached by links, a link being a similarity
     of 80 % or more; rows with equal sets are always linked.  Null texts and texts without words
     have no shingles and stand alone; null ids count for nothing against others; extra columns
     are not read; an empty table gives an empty result.  kept_class is the class of the component
-    that has that doc_id, the smallest if an id is repeated.
+    that has that doc_id, the smallest if an id is repeated.  n_links is how many other rows a row
+    is linked to; without ``count`` it is null, and pairs that are already connected are not verified.
     """
     known = cut(members(docs))
     filled = known.filter("class is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "prefix"))
     classes = cut(filled.groupBy("class").agg(first.alias("f"), F.count("*").alias("rows")).select("class", F.col("f.doc_id").alias("rep"), F.col("f.n").alias("n"), F.col("f.prefix").alias("prefix"), "rows"))
-    found = components(links(docs, classes))
+    joined = cut(links(docs, classes, count))
+    found = components(joined.filter("a <> b"))
     rooted = classes.select("class", "rep", "rows").join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    if count:
+        counted = joined.filter("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("rows").alias("_linked"))
+        rooted = rooted.join(counted, "class", "left").withColumn("n_links", F.coalesce("_linked", F.lit(0)) + F.col("rows") - 1)
+    else:
+        rooted = rooted.withColumn("n_links", F.lit(None).cast("long"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "class")).alias("f"))
     least = least.select("root", F.col("f.rep").alias("component_id"), F.col("f.class").alias("kept_class"))
-    facts = cut(rooted.join(least, "root").select("class", "component_id", "kept_class", "rows"))
-    placed = attach(filled.select("doc_id", "n", "class"), facts, "class", "rows", "inner").select("doc_id", "n", "class", "component_id", "kept_class")
-    alone = known.filter("class is null").select("doc_id", "n", "class", F.col("doc_id").alias("component_id"), F.col("class").alias("kept_class"))
-    return placed.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id", "kept_class")
+    facts = cut(rooted.join(least, "root").select("class", "component_id", "kept_class", "n_links", "rows"))
+    placed = attach(filled.select("doc_id", "n", "class"), facts, "class", "rows", "inner").select("doc_id", "n", "class", "component_id", "kept_class", "n_links")
+    alone = known.filter("class is null").select("doc_id", "n", "class", F.col("doc_id").alias("component_id"), F.col("class").alias("kept_class"), F.lit(0 if count else None).cast("long").alias("n_links"))
+    return placed.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id", "kept_class", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -358,7 +388,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Ids whose rows are all lost are dropped by id.  Where an id is null, or has rows that stay too
     or stay more than once, its rows are told apart by their class.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, count=False)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("class").eqNullSafe(F.col("kept_class"))
     found = cut(found.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), kept.alias("_kept")))
     whole = cut(found.filter("_id is not null").groupBy("_id").agg(F.max("_kept").alias("_some")).filter("not _some").select("_id"))
