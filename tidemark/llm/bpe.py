@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from .shared import MEMORIES, map_rows
 
-#: A single space between two non-blank characters: no match of the pattern holds both sides of
-#: it other than by beginning with that space, so texts can be cut in front of it.
+#: A single space between two non-blank characters: no match of the default pattern holds both
+#: sides of it other than by beginning with that space, so texts can be cut in front of it.  With
+#: another pattern texts are not cut.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Any blank but a space or a line feed; texts without one can be cut faster.
 OTHER_BLANK = re.compile(r"[^\S \n]")
@@ -43,6 +44,7 @@ class ByteBpe:
         import regex
 
         self.ranks, self.keep = ranks, keep
+        self.known_pattern = pattern == default_vocabulary()[1]
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -160,6 +162,8 @@ class ByteBpe:
 
     def pack(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        if not self.known_pattern:
+            return b"".join([self.packed[i] for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())])
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts or "\n" in parts or OTHER_BLANK.search(text):
             parts = BETWEEN.split(text)

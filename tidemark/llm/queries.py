@@ -77,6 +77,33 @@ QUERIES: dict[str, Query] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+        with t as (
+          select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+            md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as place
+          from documents
+        ), s as (
+          select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 as i from t group by source
+        ), w as (
+          select *, case i when 0 then 3.0 when 1 then 1.0 else 2.0 end::double as weight, 2.0::double * source_size as cap from s
+        ), l as (
+          select *, (1.5::double * (select sum(source_size)::double from w) - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+            / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level, row_number() over (order by cap / weight, source nulls last) as nth from w
+        ), f as (
+          select source, source_size, least(cap, coalesce((select arg_min(level, nth) filter (level <= cap / weight) from l) * weight, cap)) as target from l
+        ), p as (
+          select t.*, f.source_size, f.target, sum(size) over (partition by t.source order by place, doc_id)::bigint as reach
+          from t join f on t.source is not distinct from f.source
+        ), o as (
+          select doc_id, source, size, place, r, (reach + r * source_size)::double / target as finish from p, (values (0), (1)) x(r) where size > 0 and target > 0
+        ), q as (
+          select doc_id, size, sum(size) over (order by finish, source nulls last, r, place, doc_id) - size / 2.0 as middle from o
+        ), n as (
+          select doc_id, count(*)::int as times from q where middle <= 1.5 * (select sum(source_size) from s) group by doc_id
+        )
+        select p.doc_id, p.size, p.source_size, p.target, coalesce(n.times, 0) * p.size as taken, p.source, coalesce(n.times, 0)::int as times
+        from p left join n on n.doc_id = p.doc_id
+    """,
     "op3_exact_dedup": r"""
         with t as (
           select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
