@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import map_rows
+from .shared import packed
 
 #: log2 of the most bits: the filter never exceeds 64 MiB; a full one only lets more rows by.
 MOST_BITS = 29
@@ -24,10 +25,12 @@ def id_filter(hashes: DataFrame, n_rows: int):
         h = h.view(np.uint64)
         return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 32)]
 
-    def rows(each: Iterator[tuple]) -> Iterator[tuple]:
-        at = np.unique(np.concatenate(places(np.array([h for h, in each], np.int64))))
-        for block in np.unique(at >> 16).tolist():
-            yield block, (at[at >> 16 == block] & 0xFFFF).astype(np.uint16).tobytes()
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
+            blocks, starts = np.unique(at >> 16, return_index=True)
+            low = [part.tobytes() for part in np.split((at & 0xFFFF).astype(np.uint16), starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(low[: len(blocks)], pa.binary())], ["block", "at"])
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << 16, bool)
@@ -36,7 +39,7 @@ def id_filter(hashes: DataFrame, n_rows: int):
                 seen[np.frombuffer(at, np.uint16)] = True
         yield pd.DataFrame({"block": [key[0]], "bits": [np.packbits(seen, bitorder="little").tobytes()]})
 
-    blocks = map_rows(hashes, rows, "block long, at binary").groupBy("block").applyInPandas(merge, "block long, bits binary")
+    blocks = hashes.mapInArrow(parts, "block long, at binary").groupBy("block").applyInPandas(merge, "block long, bits binary")
     table = np.zeros((max(1, bits >> 16), 1 << 13), np.uint8)
     for row in blocks.toLocalIterator():
         table[row.block] = np.frombuffer(row.bits, np.uint8)
@@ -54,14 +57,16 @@ def id_filter(hashes: DataFrame, n_rows: int):
 
 
 def drop_ids(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ``lost._id`` (distinct; its lineage cut).
+    """The rows of docs whose doc_id isn't among ``lost._id`` (distinct, not null; its lineage cut).
 
-    Rows that the filter clears pass straight through; only the others are joined.
+    Rows that the filter clears pass straight through; only the others are joined.  Rows with a
+    null id stay, repeated rows stay or go together, extra columns pass through whatever they are
+    called, and of an empty table nothing stays.
     """
     n = lost.count()
     if not n:
         return docs
     may_hold = id_filter(lost.select(F.xxhash64("_id")), n)
     hashed = F.xxhash64(F.col("doc_id"))
-    through = docs.filter(~may_hold(hashed))
-    return through.unionByName(docs.filter(may_hold(hashed)).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+    looked = packed(docs.filter(may_hold(hashed))).join(lost.select("_id"), F.col("_doc.doc_id") == F.col("_id"), "left_anti")
+    return docs.filter(~may_hold(hashed)).unionByName(looked.select("_doc.*"))

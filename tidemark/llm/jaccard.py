@@ -38,7 +38,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .bloom import drop_ids, id_filter
 from .components import components
-from .shared import attach, cut, map_rows, partitions
+from .shared import attach, cut, map_rows, packed, partitions
 from .shingles import shingles
 
 #: The similarity, as a fraction of integers so that the comparison is exact.
@@ -386,7 +386,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     smallest doc_id stays (a null id only where there is no other), and every row without shingles.
 
     Ids whose rows are all lost are dropped by id.  Where an id is null, or has rows that stay too
-    or stay more than once, its rows are told apart by their class.
+    or stay more than once, its rows are told apart by their class.  Null and empty texts stay;
+    extra columns pass through whatever they are called; an empty table stays one.
     """
     found = near_duplicates(docs, count=False)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("class").eqNullSafe(F.col("kept_class"))
@@ -406,7 +407,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     may_hold = id_filter(odd.select(F.xxhash64("_id")), n)
     hashed = F.xxhash64(F.col("doc_id"))
-    looked = rest.filter(may_hold(hashed)).withColumn("_own", class_of("text"))
-    looked = looked.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_class")), "left")
-    once = looked.filter("_kept").dropDuplicates(["doc_id", "_own"])
-    return rest.filter(~may_hold(hashed)).unionByName(looked.filter("_kept is null").select(docs.columns)).unionByName(once.select(docs.columns))
+    looked = packed(rest.filter(may_hold(hashed))).withColumn("_own", class_of("_doc.text"))
+    looked = looked.join(odd, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_class")), "left")
+    once = looked.filter("_kept").withColumn("_of", F.col("_doc.doc_id")).dropDuplicates(["_of", "_own"])
+    return rest.filter(~may_hold(hashed)).unionByName(looked.filter("_kept is null").select("_doc.*")).unionByName(once.select("_doc.*"))

@@ -35,11 +35,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; only
-    where that is unset (a test on one machine) a temporary one."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.  Only
+    with a local master, where there are no other machines, a temporary one will do."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a folder that they share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -58,6 +61,11 @@ def first_by_hash(ids: DataFrame, group: str, most: int) -> DataFrame:
     return near.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order, "doc_id"))).filter(F.col("_at") <= most).drop("_at")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``_doc``, so that columns put beside it can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, with its lineage cut."""
     shared_folder(df.sparkSession)
