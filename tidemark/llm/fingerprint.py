@@ -18,6 +18,8 @@ from .shared import cut, partitions
 NO_ID = -(1 << 63)
 #: Different texts with the same 128 bits: none by chance, even among 1e15 texts.
 MOST_CLASHES = 10_000
+#: Groups of copies that hold more than one part in so many of all copies are compared apart.
+SHARES = 256
 
 
 def canonical(text: Column) -> Column:
@@ -52,13 +54,17 @@ def settled(fingerprint: Column, canon: Column, clashing: list[str]) -> Column:
 def collisions(docs: DataFrame) -> DataFrame:
     """``fingerprint`` of each group whose members' canonical bytes differ.
 
-    The digests are counted first; only the texts of groups are compared, least against largest,
-    which a partial aggregate does before the shuffle: a task sends one pair of texts per group,
-    however many members it has.
+    The digests are counted first, and only the texts of groups are compared, least against most.
+    Members of the few groups that hold more than one part in ``SHARES`` of all members find them
+    in a broadcast table, and a partial aggregate leaves one pair of texts per task and group;
+    those of the other groups are shuffled, and no task gets more than its small groups.
     """
-    canon = docs.select(canonical(F.col("text")).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon")))
-    sizes = docs.select(digest(canonical(F.col("text"))).alias("fingerprint")).groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
-    both = canon.join(sizes, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("_canon").alias("_least"), F.max("_canon").alias("_most"))
+    sizes = cut(docs.select(digest(canonical(F.col("text"))).alias("fingerprint")).groupBy("fingerprint").count().filter("count > 1"))
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    large = F.broadcast(sizes.filter(F.col("count") * SHARES > total).select("fingerprint", F.lit(True).alias("_large")))  # fewer than SHARES rows
+    canon = docs.select(canonical(F.col("text")).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon"))).join(large, "fingerprint", "left")
+    small = canon.filter(F.col("_large").isNull()).join(sizes, "fingerprint", "left_semi")
+    both = canon.filter("_large").unionByName(small).groupBy("fingerprint").agg(F.min("_canon").alias("_least"), F.max("_canon").alias("_most"))
     return both.filter("_least <> _most").select("fingerprint")
 
 
@@ -81,14 +87,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))  # n - 1 at most
 
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("_id") <= bounds[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+    # Binary search in the sorted bounds: how many of them are less than the id.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else F.expr("cast(array() as array<int>)")
+    held = F.lit(bounds) if bounds else F.expr("cast(array() as array<bigint>)")
+    step = lambda at, by: F.when(F.coalesce(F.get(held, at + by - 1) < F.col("_id"), F.lit(False)), at + by).otherwise(at)
+    place = F.aggregate(steps, F.lit(0), step)
 
-    spread = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_.alias("_id")).withColumn("_part", place(0, len(bounds)))
-    firsts = ids.withColumn("_part", place(0, len(bounds))).groupBy("_part").agg(F.min("_id").alias("_first"))  # a row per range
+    spread = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_.alias("_id")).withColumn("_part", place)
+    firsts = ids.withColumn("_part", place).groupBy("_part").agg(F.min("_id").alias("_first"))  # a row per range
     rounds = Window.orderBy("_part")
     before = firsts.withColumn("_before", F.coalesce(F.lag("_part").over(rounds), F.max("_part").over(Window.partitionBy(F.lit(0)))))
     before = before.withColumn("_wraps", F.lag("_part").over(rounds).isNull()).select(F.col("_first").alias("_id"), "_before", "_wraps")
