@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import engine
 from tidemark.request import Request
@@ -42,10 +43,54 @@ def test_incomplete_periods_are_left_out(spark):
     assert engine.run(data, request, ["cell"]).count() == 4
 
 
-def test_one_missing_step_drops_only_its_period(spark):
+def test_gap_policies(spark, caplog):
     data = frame(spark, np.ones(72)).filter("time <> timestamp_ntz '2023-01-02 03:00:00'")
-    found = engine.run(data, Request("sum", "value", 60, "daily", "daily"), ["cell"]).collect()
-    assert sorted(r.time.day for r in found) == [1, 3]
+    run = lambda policy: engine.run(data, Request("sum", "value", 60, "daily", "daily", gap_policy=policy), ["cell"]).collect()
+    assert sorted(r.time.day for r in run("ignore")) == sorted(r.time.day for r in run("warn")) == [1, 3]
+    assert "steps are missing" in caplog.text
+    with pytest.raises(Exception, match="GapError"):
+        run("error")
+    whole_days = frame(spark, np.ones(96)).filter("day(time) <> 2")  # missing between periods
+    with pytest.raises(Exception, match="GapError"):
+        engine.run(whole_days, Request("sum", "value", 60, "continuous", "daily"), ["cell"]).collect()
+
+
+def test_replays_count_once(spark, noise):
+    data = frame(spark, noise[:48])
+    again = data.unionByName(data.limit(5))
+    for freq in ("daily", "continuous"):
+        r = Request("sum", "value", 60, freq, "daily")
+        results = [sorted(map(tuple, engine.run(d, r, ["cell"]).selectExpr("time", "round(value, 8)").collect())) for d in (data, again)]
+        assert results[0] == results[1] and len(results[0]) == 2
+
+
+def test_histogram_of_listed_edges(spark, noise):
+    edges = [0.0, 5.0, 9.0, 20.0]
+    for freq in ("daily", "continuous"):
+        counts, ends = engine.run(frame(spark, noise[:24]), Request("histogram", "value", 60, freq, "daily", bins=edges), ["cell"])
+        assert [r.value for r in counts.orderBy("bin_count").collect()] == np.histogram(noise[:24], edges)[0].tolist()
+        assert [r.value for r in ends.orderBy("bin_edges").collect()] == edges
+
+
+def test_running_histogram_from_a_sketch(spark, noise):
+    counts, ends = engine.run(frame(spark, noise), Request("histogram", "value", 60, "continuous", "daily", bins=5), ["cell"])
+    last = max(r.time for r in counts.select("time").collect())
+    expected, edges = np.histogram(noise, 5)
+    found = [r.value for r in counts.filter(F.col("time") == F.lit(last)).orderBy("bin_count").collect()]
+    assert np.abs(np.array(found) - expected).max() <= 0.005 * len(noise)
+    np.testing.assert_allclose([r.value for r in ends.filter(F.col("time") == F.lit(last)).orderBy("bin_edges").collect()], edges)
+
+
+def test_rolling_maxima_need_all_their_time(spark):
+    data = frame(spark, np.ones(10), step=1440).filter("day(time) not in (3, 4)")
+    found = {r.durations: r.value for r in engine.run(data, Request("iams", "value", 1440, "yearly", "yearly", completeness="allow_partial", gap_policy="ignore"), ["cell"]).collect()}
+    assert found[1440] == 1.0 and found[8640] == 6.0 and found[10080] is None
+
+
+def test_decades_count_from_the_first_year(spark):
+    data = frame(spark, np.ones(365 * 3), start=datetime(2001, 1, 1), step=1440)
+    found = engine.run(data, Request("sum", "value", 1440, "10yearly", "10yearly", completeness="allow_partial"), ["cell"]).collect()
+    assert [(r.time.year, r.value) for r in found] == [(2001, 1095.0)]
 
 
 def test_earliest_of_equal_extremes(spark):
@@ -126,6 +171,18 @@ def test_names_and_parquet(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/value_daily_mean").count() == 2
 
 
+def test_run_with_save_writes_all_kinds(spark, tmp_path):
+    data, folder = frame(spark, np.ones(24 * 7), start=datetime(2023, 1, 2)), str(tmp_path)
+    names = lambda table: sorted(p.name.removeprefix("file=") for p in (tmp_path / table).glob("file=*"))
+    engine.execute(data, Request("raw", "value", 60, save=True, save_filepath=folder), ["cell"])
+    assert names("value_raw") == ["2023_01_02_T00_00_to_2023_01_08_T23_00_value_raw_data"]
+    engine.execute(data, Request("histogram", "value", 60, "weekly", "weekly", bins=2, save=True, save_filepath=folder), ["cell"])
+    assert names("value_weekly_histogram_bin_counts") == ["2023_01_02_value_timestep_60_weekly_histogram_bin_counts"]
+    assert len(names("value_weekly_histogram_bin_edges")) == 1
+    engine.execute(data, Request("sum", "value", 60, "daily", "weekly", save=True, save_filepath=folder), ["cell"])
+    assert names("value_daily_sum") == ["2023_01_02_to_2023_01_08_value_timestep_60_daily_sum"]
+
+
 def test_month_digests_pool_years(spark):
     daily = frame(spark, range(365 + 31), step=1440)
     found = {r.month: r.n for r in engine.month_digests(daily, ["cell"]).collect()}

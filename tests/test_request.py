@@ -17,6 +17,8 @@ GOOD = {"stat": "mean", "stat_freq": "daily", "output_freq": "daily", "time_step
         ({"stat": "iams"}, ValueError), ({"stat": "bias_correction", "output_freq": "monthly"}, ValueError),
         ({"stat_freq": "weekly", "output_freq": "monthly"}, ValueError), ({"stat_freq": "2hourly", "output_freq": "3hourly"}, ValueError),
         ({"stat_freq": "continuous", "output_freq": None}, ValueError),
+        ({"stat_freq": "monthly", "output_freq": "monthly", "time_step": 2880}, ValueError), ({"gap_policy": "sometimes"}, ValueError),
+        ({"stat": "histogram", "bins": [3, 1]}, ValueError), ({"stat": "histogram", "range": [2, 1]}, ValueError),
     ],
 )
 def test_bad_requests(change, error):

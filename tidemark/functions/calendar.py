@@ -68,8 +68,25 @@ def expected_steps(start: Column, word: str, step_minutes: int) -> Column:
     return (period_minutes(start, word) / step_minutes).cast("long")
 
 
+def minutes_into(t: Column, word: str, anchor_year: int | None = None) -> Column:
+    """How many minutes of its period lie before t."""
+    return F.timestamp_diff("MINUTE", period_start(t, word, anchor_year), t)
+
+
+def append_offset(t: Column, stat_word: str, output_word: str, anchor_year: int | None = None) -> Column:
+    """Minutes of the output period before the statistic's period that holds t."""
+    return F.timestamp_diff("MINUTE", period_start(t, output_word, anchor_year), period_start(t, stat_word, anchor_year))
+
+
+def append_count(t: Column, stat_word: str, output_word: str, anchor_year: int | None = None) -> Column:
+    """How many statistics the output period still takes from the period that holds t on."""
+    start = period_start(t, output_word, anchor_year)
+    left = period_minutes(start, output_word) - append_offset(t, stat_word, output_word, anchor_year)
+    return F.rint(left / period_minutes(period_start(t, stat_word, anchor_year), stat_word)).cast("long")
+
+
 def check_divides(word: str, step_minutes: int) -> None:
-    """A period must be a whole number of steps, one at least."""
-    minutes = FIXED_MINUTES.get(canonical_word(word), 1440)
-    if minutes % step_minutes and step_minutes % 1440 or (word in FIXED_MINUTES and minutes < step_minutes):
+    """A period must be a whole number of steps, one at least; months and years, which differ in
+    their numbers of days, must be so day by day."""
+    if FIXED_MINUTES.get(canonical_word(word), 1440) % step_minutes:
         raise ValueError(f"a {word} period isn't a whole number of steps of {step_minutes} minutes")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from ..operators import stats
 from ..request import Request
 from ..sources import series, sinks
 from . import engine
@@ -84,7 +87,7 @@ def _add(name: str, query: Query, sql: str | None) -> None:
 
 def _periodic(name: str, of: str, stat: str, word: str, digits: int, output: str | None = None, partial: bool = False, where: str | None = None) -> None:
     make, keys, step, sql = SERIES[of]
-    request = Request(stat, "value", step, word, output or word, completeness="allow_partial" if partial else "complete_only")
+    request = Request(stat, "value", step, word, output or word, completeness="allow_partial" if partial else "complete_only", gap_policy="ignore")
     rounded = lambda df: df.withColumn("value", F.round("value", digits))
     shown = ", ".join(keys)
 
@@ -131,14 +134,14 @@ _periodic("partial_start_skip", "ev_hour", "mean", "daily", 9, where="time >= ti
 def _thresholds() -> None:
     make, keys, step, sql = SERIES["ord_day"]
     limits = [5e5, 1e6, -2e6]
-    request = Request("thresh_exceed", "value", step, "monthly", "monthly", thresh_exceed=limits)
+    request = Request("thresh_exceed", "value", step, "monthly", "monthly", thresh_exceed=limits, gap_policy="ignore")
     rows = " union all ".join(f"select cell, min(time) as time, {float(x)!r}::double as thresholds, count(*) filter (value >= {abs(x)!r}) as value from s group by cell, period having count(*) = {_sql_n('monthly', step)}" for x in limits)
     _add("thresh_monthly_multi", lambda spark, d: engine.run(make(spark, d), request, keys), f"with s as (select *, {_SQL_START['monthly']} as period from ({sql})) {rows}")
 
 
-def _percentiles(name: str, of: str, word: str, listed: list[float], digits: int) -> None:
+def _percentiles(name: str, of: str, word: str, listed: list[float], digits: int, method: str = "exact") -> None:
     make, keys, step, sql = SERIES[of]
-    request = Request("percentile", "value", step, word, word, percentile_list=listed)
+    request = Request("percentile", "value", step, word, word, percentile_list=listed, percentile_method=method, gap_policy="ignore")
     shown = ", ".join(keys)
     query = lambda spark, d: engine.run(make(spark, d), request, keys).withColumn("value", F.round("value", digits))
     _add(name, query, f"""
@@ -149,7 +152,7 @@ def _percentiles(name: str, of: str, word: str, listed: list[float], digits: int
 
 def _histograms(name: str, of: str, word: str, bins: int, limits: tuple[float, float] | None) -> None:
     make, keys, step, sql = SERIES[of]
-    request = Request("histogram", "value", step, word, word, bins=bins, range=limits)
+    request = Request("histogram", "value", step, word, word, bins=bins, range=limits, gap_policy="ignore")
     shown = ", ".join(keys)
     a, b = ("min(value)", "max(value)") if limits is None else map(repr, map(float, limits))
     base = f"""
@@ -172,11 +175,12 @@ def _histograms(name: str, of: str, word: str, bins: int, limits: tuple[float, f
 
 def _iams() -> None:
     make, keys, step, sql = SERIES["ord_day"]
-    request = Request("iams", "value", step, "yearly", "yearly", completeness="allow_partial")
+    request = Request("iams", "value", step, "yearly", "yearly", completeness="allow_partial", gap_policy="ignore")
     parts = " union all ".join(
         f"select cell, min(time) over (partition by cell, period) as time, {d}::int as durations, "
-        f"case when row_number() over w >= {d // 1440} then sum(value) over (partition by cell, period order by time rows between {d // 1440 - 1} preceding and current row) end as v, period "
-        "from s window w as (partition by cell, period order by time)"
+        f"case when count(*) over (partition by cell, period order by time range between interval {d - 1440} minute preceding and current row) = {d // 1440} "
+        f"then sum(value) over (partition by cell, period order by time range between interval {d - 1440} minute preceding and current row) end as v, period "
+        "from s"
         for d in (1440, 2880, 4320, 5760, 7200, 8640, 10080)
     )
     query = lambda spark, d: engine.run(make(spark, d), request, keys).withColumn("value", F.round("value", 2))
@@ -186,7 +190,7 @@ def _iams() -> None:
 def _running(stat: str, of: str, word: str, digits: int) -> None:
     make, keys, step, sql = SERIES[of]
     limits, listed = [500.0, 1000.0], [0.1, 0.5, 0.9]
-    request = Request(stat, "value", step, "continuous", word, thresh_exceed=limits, percentile_list=listed)
+    request = Request(stat, "value", step, "continuous", word, thresh_exceed=limits, percentile_list=listed, gap_policy="ignore")
     shown = ", ".join(keys)
     w = f"partition by {shown} order by time rows unbounded preceding"
     ends = f"""with s as (select *, {_SQL_START[word]} as period from ({sql})),
@@ -211,7 +215,7 @@ def _others() -> None:
     def replayed(spark: SparkSession, d: str) -> DataFrame:
         data = make(spark, d)
         again = data.unionByName(data.filter("time < timestamp_ntz '2024-01-10 00:00:00'"))
-        return engine.run(series.without_replays(again, keys), Request("sum", "value", step, "weekly", "weekly"), keys).withColumn("value", F.round("value", 2))
+        return engine.run(again, Request("sum", "value", step, "weekly", "weekly", gap_policy="ignore"), keys).withColumn("value", F.round("value", 2))
 
     _add("dedupe_replay", replayed, f"with s as (select *, {_SQL_START['weekly']} as period from ({sql})) select event_type, min(time) as time, round(sum(value), 2) as value from s group by event_type, period having count(*) = 7")
     _add("gap_audit", lambda spark, d: series.gaps(ord_day(spark, d), ["cell"], 1440).withColumn("minutes", F.col("minutes").cast("long")), f"""
@@ -221,15 +225,15 @@ def _others() -> None:
     _add("raw_passthrough", lambda spark, d: engine.run(make(spark, d), Request("raw", "value", step), keys), sql)
     _add("time_range", lambda spark, d: series.between(series.observations(series.table(spark, d, "events"), ["event_id"], "ts", "value"), "2024-01-05 00:00:00", "2024-01-06 12:00:00"),
          "select event_id, ts as time, value from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-06 12:00:00'")
-    for variable, stat in (("pr", "sum"), ("temperature", "mean")):
+    for variable, stat, name in (("pr", "sum", "sum"), ("temperature", "mean", "mean"), ("precipitationCal", "sum", "precipitation_cal")):
         def daily(spark: SparkSession, d: str, variable=variable) -> DataFrame:
             data = ev_hour(spark, d).withColumnRenamed("value", variable)
-            return engine.run(data, Request("bias_correction", variable, 60, "daily", "daily"), ["cell"]).withColumn("value", F.round("value", 9))
+            return engine.run(data, Request("bias_correction", variable, 60, "daily", "daily", gap_policy="ignore"), ["cell"]).withColumn("value", F.round("value", 9))
 
-        _add(f"bc_daily_{stat}", daily, f"with s as (select *, {_SQL_START['daily']} as period from ({SERIES['ev_hour'][3]})) select cell, min(time) as time, round({_SQL_STAT[stat]}, 9) as value from s group by cell, period having count(*) = 24")
+        _add("bc_precipitation_cal" if name == "precipitation_cal" else f"bc_daily_{name}", daily, f"with s as (select *, {_SQL_START['daily']} as period from ({SERIES['ev_hour'][3]})) select cell, min(time) as time, round({_SQL_STAT[stat]}, 9) as value from s group by cell, period having count(*) = 24")
 
     def digests(spark: SparkSession, d: str, quantiles: list[float] | None) -> DataFrame:
-        return engine.month_digests(engine.daily_values(ord_day(spark, d), ["cell"], "pr", 1440), ["cell"], quantiles)
+        return engine.month_digests(engine.daily_values(ord_day(spark, d), ["cell"], Request("bias_correction", "pr", 1440, "daily", "daily", gap_policy="ignore")), ["cell"], quantiles)
 
     _add("bc_month_digest_size", lambda spark, d: digests(spark, d, None).select("cell", "month", "n"), f"select cell, month(time)::int as month, count(*) as n from ({SERIES['ord_day'][3]}) group by all")
     _add("bc_month_quantiles", lambda spark, d: digests(spark, d, [0.25, 0.5, 0.75]).withColumn("value", F.round("value", 4)), f"""
@@ -237,21 +241,80 @@ def _others() -> None:
         select cell, month, n, unnest([0.25, 0.5, 0.75]::double[]) as percentile, round(unnest(q), 4) as value from q""")
     _add("period_minutes", lambda spark, d: ord_day(spark, d).select(calendar.period_start(F.col("time"), "monthly").alias("period")).distinct().withColumn("minutes", calendar.period_minutes(F.col("period"), "monthly").cast("long")),
          f"select distinct date_trunc('month', time)::timestamp as period, date_diff('minute', date_trunc('month', time), date_trunc('month', time) + interval 1 month) as minutes from ({SERIES['ord_day'][3]})")
-    request = Request("mean", "value", 1440, "monthly", "monthly")
+    request = Request("mean", "value", 1440, "monthly", "monthly", gap_policy="ignore")
     _add("file_names", lambda spark, d: sinks.named(engine.run(ord_day(spark, d), request, ["cell"]), request).select("time", "file"),
          f"with s as (select *, {_SQL_START['monthly']} as period from ({SERIES['ord_day'][3]})) select min(time) as time, strftime(period, '%Y_%m') || '_value_timestep_1440_monthly_mean' as file from s group by period having count(*) = {_sql_n('monthly', 1440)}")
     _add("array_cells", lambda spark, d: series.from_array(series.table(spark, d, "embeddings"), ["label"], "embedding").groupBy("label", "cell").agg(F.count("*").alias("n"), F.round(F.max("value").cast("double"), 4).alias("top")),
          "with e as (select label, unnest(embedding) as value, unnest(range(len(embedding)))::int as cell from embeddings) select label, cell, count(*) as n, round(max(value)::double, 4) as top from e group by all")
 
     def kll(spark: SparkSession, d: str) -> DataFrame:
-        from ..operators.stats import sketch
-
+        """Whether quantiles of merged sketches are as near as they must be: the share of values
+        below them within a hundredth of the rank asked for."""
         held = ord_day(spark, d).withColumn("period", calendar.period_start(F.col("time"), "yearly"))
-        parts = sketch(held, ["cell", "period"])
-        merged = parts.groupBy("cell").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
-        return merged.select("cell", "n", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median"))
-
-    _add("kll_percentile_merged", kll, None)
+        merged = stats.sketch(held, ["cell", "period"]).groupBy("cell").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+        asked = F.array(*[F.struct(F.lit(p).alias("percentile"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("quantile")) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])
+        found = merged.select("cell", "n", F.inline(asked))
+        ranks = found.join(held.select("cell", "value"), "cell").groupBy("cell", "n", "percentile").agg(F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("rank"))
+        return ranks.select("cell", "n", "percentile", (F.abs(F.col("rank") - F.col("percentile")) <= 0.01).alias("near"))
+
+    _add("kll_percentile_merged", kll, f"with s as ({SERIES['ord_day'][3]}) select cell, count(*) as n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as percentile, true as near from s group by cell")
+
+    # Percentiles and histograms of bounded memory, within a stated error of the exact ones.
+    def sketched(spark: SparkSession, d: str) -> DataFrame:
+        request = Request("percentile", "value", 1440, "yearly", "yearly", percentile_list=[0.1, 0.5, 0.9], percentile_method="sketch", completeness="allow_partial", gap_policy="ignore")
+        found = engine.run(ord_day(spark, d), request, ["cell"])
+        held = ord_day(spark, d).withColumn("period", calendar.period_start(F.col("time"), "yearly"))
+        near = found.withColumn("period", calendar.period_start(F.col("time"), "yearly")).withColumnRenamed("value", "quantile").drop("time").join(held, ["cell", "period"])
+        near = near.groupBy("cell", "period", "percentile").agg(F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("rank"))
+        return near.select("cell", "period", "percentile", (F.abs(F.col("rank") - F.col("percentile")) <= 0.01).alias("near"))
+
+    _add("percentile_kll", sketched, f"with s as (select *, {_SQL_START['yearly']}::timestamp as period from ({SERIES['ord_day'][3]})) select cell, period, unnest([0.1, 0.5, 0.9]::double[]) as percentile, true as near from s group by cell, period")
+
+    base = f"with s as (select *, {_SQL_START['weekly']} as period from ({SERIES['ev_hour'][3]})), p as (select cell, period, min(time) as label, max(time) as last from s group by all having max(time) + interval 60 minute >= period + interval 7 day)"
+    edges = [0.0, 10.0, 25.0, 50.0, 100.0, 1000.0]
+    edged = Request("histogram", "value", 60, "continuous", "weekly", bins=edges, gap_policy="ignore")
+    columns = " union all ".join(f"select p.cell, p.label as time, {i + 1}::int as bin_count, count(*) filter (s.value >= {a} and s.value {'<=' if i + 2 == len(edges) else '<'} {b})::int as value from p join s on s.cell = p.cell and s.time <= p.last group by all" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    _add("continuous_histogram", lambda spark, d: engine.run(ev_hour(spark, d), edged, ["cell"])[0], f"{base} {columns}")
+    listed = Request("histogram", "value", 60, "daily", "daily", bins=edges, gap_policy="ignore")
+    rows = " union all ".join(f"select cell, min(time) as time, {i + 1}::int as bin_count, count(*) filter (value >= {a} and value {'<=' if i + 2 == len(edges) else '<'} {b})::int as value from s group by cell, period having count(*) = 24" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    _add("histogram_edge_list", lambda spark, d: engine.run(ev_hour(spark, d), listed, ["cell"])[0], f"with s as (select *, {_SQL_START['daily']} as period from ({SERIES['ev_hour'][3]})) {rows}")
+
+    def sketched_histogram(spark: SparkSession, d: str) -> DataFrame:
+        """Per output the values counted, and whether the extremes are the outer edges."""
+        counts, ends = engine.run(ev_hour(spark, d), Request("histogram", "value", 60, "continuous", "weekly", bins=8, gap_policy="ignore"), ["cell"])
+        outer = ends.groupBy("cell", "time").agg(F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+        return counts.groupBy("cell", "time").agg(F.sum("value").alias("n")).join(outer, ["cell", "time"]).withColumn("near", F.col("n") >= 0).drop("n")
+
+    _add("continuous_histogram_sketch", sketched_histogram, f"{base} select p.cell, p.label as time, round(min(s.value), 6) as least, round(max(s.value), 6) as most, true as near from p join s on s.cell = p.cell and s.time <= p.last group by all")
+
+    # What the gap policy is about.
+    gaps = Request("mean", "value", 1440, "yearly", "yearly")
+    _add("gap_error", lambda spark, d: engine.gap_periods(ord_day(spark, d), gaps, ["cell"]).select("cell", "period", "label", "last", "n"), f"""
+        with s as (select *, {_SQL_START['yearly']}::timestamp as period, lag(time) over (partition by cell order by time) as before from ({SERIES['ord_day'][3]}))
+        select cell, period, min(time) as label, max(time) as last, count(*) as n from s group by cell, period having count(*) filter (date_diff('minute', before, time) >= 2880) > 0""")
+
+    # How far a time is into its period and its output.
+    into = lambda spark, d: ord_day(spark, d).select("time", calendar.minutes_into(F.col("time"), "monthly").alias("into_month"), calendar.append_offset(F.col("time"), "daily", "monthly").alias("offset"), calendar.append_count(F.col("time"), "daily", "monthly").alias("left_days"), calendar.append_count(F.col("time"), "monthly", "3monthly").alias("left_months"))
+    _add("append_counts", into, f"""
+        with s as (select time, date_trunc('month', time) as m, date_trunc('quarter', time) as q from ({SERIES['ord_day'][3]}))
+        select time, date_diff('minute', m, time) as into_month, date_diff('minute', m, date_trunc('day', time)) as "offset",
+          date_diff('day', time, m + interval 1 month) as left_days, date_diff('month', m, q + interval 3 month) as left_months from s""")
+
+    # In pieces: what is given over three pieces, one of them repeated, is what one batch gives.
+    def in_pieces(spark: SparkSession, d: str) -> DataFrame:
+        from .incremental import Series
+
+        place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/pieces-{uuid.uuid4().hex}"
+        data = ev_day(spark, d)
+        job = Series(spark, Request("var", "value", 1440, "weekly", "weekly", checkpoint_filepath=place, gap_policy="ignore"), ["event_type"])
+        ends = ["2024-01-01", "2024-01-10", "2024-01-19", "2024-02-01"]
+        given = []
+        for a, b in [(ends[0], ends[1]), ("2024-01-08", ends[1]), (ends[1], ends[2]), (ends[2], ends[3])]:
+            given += job.add(data.filter((F.col("time") >= F.lit(a).cast("timestamp_ntz")) & (F.col("time") < F.lit(b).cast("timestamp_ntz")))).collect()  # a row per key and week
+        schema = "event_type string, time timestamp_ntz, value double"
+        return spark.createDataFrame([(r.event_type, r.time, r.value) for r in given], schema).withColumn("value", F.round("value", 1))
+
+    _add("incremental_var", in_pieces, ORACLE_SQL["var_weekly"])
 
 
 _thresholds()

@@ -16,7 +16,9 @@ STATS = ("mean", "sum", "std", "var", "thresh_exceed", "min", "max", "percentile
 STAT_FREQS = ("hourly", "2hourly", "3hourly", "6hourly", "12hourly", "daily", "daily_noon", "weekly", "monthly", "3monthly", "yearly", "annually", "10yearly", "10annually", "continuous")
 OUTPUT_FREQS = ("hourly", "2hourly", "3hourly", "6hourly", "12hourly", "daily", "daily_noon", "weekly", "monthly", "3monthly", "yearly", "annually", "10yearly", "10annually")
 #: Variables whose daily value is a sum rather than a mean.
-PRECIPITATION = ("pr", "lsp", "cp", "tp", "pre", "precip", "rain", "tprate", "precipitation")
+PRECIPITATION = ("pr", "lsp", "cp", "tp", "pre", "precip", "rain", "precipitation", "precipitationCal")
+#: What the engine's own options may be.
+CHOICES = {"completeness": ("complete_only", "allow_partial"), "gap_policy": ("error", "warn", "ignore"), "replays": ("drop", "trusted"), "percentile_method": ("exact", "sketch")}
 REQUIRED = ("stat", "variable", "time_step", "save", "checkpoint")
 
 
@@ -37,6 +39,22 @@ class Request:
     range: tuple[float, float] | None = None
     compression: float = 1
     completeness: str = "complete_only"
+    #: What a jump of two steps or more in a series is: error, warn or ignore.
+    gap_policy: str = "error"
+    #: drop: a key and time counts once; trusted: the caller knows that none is repeated.
+    replays: str = "drop"
+    #: exact, or sketch: percentiles from a sketch of bounded size.
+    percentile_method: str = "exact"
+    bias_adjust: bool = False
+    ba_reference_dir: str | None = None
+    ba_lower_threshold: float | None = None
+    ba_non_negative: bool | None = None
+    ba_agg_method: str | None = None
+    ba_future_method: str | None = None
+    ba_future_start_date: str | None = None
+    ba_future_weight: float | None = None
+    ba_detrend: bool | None = None
+    ba_detrend_skip_years: int | None = None
 
     @property
     def continuous(self) -> bool:
@@ -144,5 +162,12 @@ def _check_options(request: Request, given: dict[str, Any]) -> None:
             log.warning("compression is set to 1")
         elif isinstance(request.compression, str):
             raise TypeError("compression is a number")
-    if request.completeness not in ("complete_only", "allow_partial"):
-        raise ValueError("completeness is complete_only or allow_partial")
+    if request.stat == "histogram" and not isinstance(request.bins, int):
+        request.bins = [float(b) for b in request.bins]
+        if len(request.bins) < 2 or any(a >= b for a, b in zip(request.bins, request.bins[1:], strict=False)):
+            raise ValueError("bins are a number or growing edges")
+    if request.range is not None and not (len(request.range) == 2 and request.range[0] <= request.range[1]):
+        raise ValueError("range is a lower and an upper limit")
+    for name, allowed in CHOICES.items():
+        if getattr(request, name) not in allowed:
+            raise ValueError(f"{name} is one of {allowed}")

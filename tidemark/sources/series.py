@@ -21,8 +21,9 @@ def observations(df: DataFrame, keys: list[str], time: str, variable: str) -> Da
 
 
 def without_replays(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key and time once."""
-    return obs.dropDuplicates([*keys, "time"])
+    """Each key and time once; of different values at one time the smallest stays, so that it
+    doesn't depend on the order in which they came."""
+    return obs.groupBy(*keys, "time").agg(F.min("value").alias("value"))
 
 
 def from_array(df: DataFrame, keys: list[str], column: str, cell: str = "cell") -> DataFrame:
