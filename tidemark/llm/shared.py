@@ -46,6 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def first_by_hash(ids: DataFrame, group: str, most: int) -> DataFrame:
     """The first ``most`` different rows of each group by a hash of doc_id.
 
