@@ -58,12 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what lies between them goes to the shared folder."""
+    """All stages over the documents table; what lies between them goes to the shared folder, and
+    is removed once the next stage is written; the last one's input stays, as its result reads it."""
     docs = shared.documents(spark, sf_dir)
     folder = f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            place = f"{folder}/{i}-{name}"
+            docs.write.parquet(place)
+            docs = spark.read.parquet(place)
+            if before is not None:
+                shared.remove(spark, before)
+            before = place
     return docs
