@@ -39,7 +39,7 @@ SIZE, SEGMENT, SUBSTRING = 3_072, 64, 8
 #: length and times the one is taken whose dictionaries calibrate best.
 TEXTS, OCCURRENCES = 3, 8
 SETUPS = ((5, 50), (6, 50), (7, 20))
-LEVEL, STRATEGY, MIN_MATCH = 16, zstandard.STRATEGY_BTOPT, 6
+LEVEL, STRATEGY, MIN_MATCH = 16, zstandard.STRATEGY_LAZY2, 6
 #: Bytes that are no text, behind which a window is compressed.
 CARRIER = bytes((*range(1, 9), *range(14, 32)))
 #: Gains in bytes at which windows are counted.
