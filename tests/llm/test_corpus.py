@@ -454,6 +454,37 @@ def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
     assert found[0].fingerprint == found[2].fingerprint != found[1].fingerprint
 
 
+def test_fingerprints_shuffle_only_the_texts_of_groups(spark):
+    """Without broadcast joins, as for a large table: texts that have no copy stay where they are."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5_000)) for _ in range(400)]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:8])], "doc_id long, text string").repartition(4).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert fingerprint.collisions(made).collect() == []
+        assert written() - before < 0.2 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_repeated_digests_all_pass_the_bitmap(spark, monkeypatch):
+    """In pieces enough and in a filter that is far too small: no group loses a member."""
+    canon = spark.range(20_000).select(F.col("id").cast("string").alias("_canon"), F.md5(F.col("id").cast("string")).alias("fingerprint"))
+    sizes = canon.filter("cast(_canon as long) % 4 = 0").select("fingerprint")
+    for most, extra in ((fingerprint.MOST_PIECES, 1_500), (1, 15_000)):
+        monkeypatch.setattr(fingerprint, "MOST_PIECES", most)
+        found = fingerprint.repeated(canon, sizes, 5_000)
+        assert found.join(sizes, "fingerprint", "left_semi").count() == 5_000 <= found.count() <= 5_000 + extra
+
+
 def test_lines(spark, docs, rows):
     long = "This very line is long enough to be a key, Said he"
     made = [(i, f"{i}\n {long.upper() if i % 2 else long}\t\nown line {i}" + f"\n{long}" * (i == 7)) for i in range(8)] + [(20, "short\nshort"), (21, None), (22, "")]

@@ -20,6 +20,9 @@ NO_ID = -(1 << 63)
 MOST_CLASHES = 10_000
 #: Groups of copies that hold more than one part in so many of all copies are compared apart.
 SHARES = 256
+#: What one bitmap_construct_agg holds; bits of the filter for each repeated digest, at least; the
+#: fewest and most pieces of it (32 MiB).  Beyond 8 million repeated digests it only lets more through.
+PIECE, BITS, FEWEST_PIECES, MOST_PIECES = 8 * 4096, 32, 64, 8192
 
 
 def canonical(text: Column) -> Column:
@@ -51,18 +54,33 @@ def settled(fingerprint: Column, canon: Column, clashing: list[str]) -> Column:
     return F.when(fingerprint.isin(clashing), F.concat(fingerprint, F.lit("-"), F.sha2(canon, 256))).otherwise(fingerprint) if clashing else fingerprint
 
 
+def repeated(canon: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """The rows of canon whose ``fingerprint`` is one of the n of sizes, and a few others: those
+    that a broadcast bitmap of one hash can't tell from them.  Nothing is shuffled but sizes.
+    """
+    pieces = min(MOST_PIECES, max(FEWEST_PIECES, 1 << (n * BITS // PIECE).bit_length()))
+    at = F.pmod(F.xxhash64("fingerprint"), F.lit(pieces * PIECE))
+    piece, bit = F.floor(at / PIECE).cast("int").alias("_piece"), (at % PIECE).cast("int").alias("_bit")
+    bits = sizes.select(piece, bit).repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    held = canon.select("*", piece, bit).join(F.broadcast(bits), "_piece")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.filter(F.getbit(byte, F.col("_bit") % 8) == 1).select(*canon.columns)
+
+
 def collisions(docs: DataFrame) -> DataFrame:
     """``fingerprint`` of each group whose members' canonical bytes differ.
 
-    The digests are counted first, and only the texts of groups are compared, least against most.
+    The digests are counted first, and only the texts of groups are compared, least against most:
+    a bitmap of the repeated digests leaves out nearly all others before any text is shuffled.
     Members of the few groups that hold more than one part in ``SHARES`` of all members find them
     in a broadcast table, and a partial aggregate leaves one pair of texts per task and group;
     those of the other groups are shuffled, and no task gets more than its small groups.
     """
     sizes = cut(docs.select(digest(canonical(F.col("text"))).alias("fingerprint")).groupBy("fingerprint").count().filter("count > 1"))
-    total = sizes.agg(F.sum("count")).first()[0] or 0
+    total, n = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     large = F.broadcast(sizes.filter(F.col("count") * SHARES > total).select("fingerprint", F.lit(True).alias("_large")))  # fewer than SHARES rows
-    canon = docs.select(canonical(F.col("text")).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon"))).join(large, "fingerprint", "left")
+    canon = docs.select(canonical(F.col("text")).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon")))
+    canon = repeated(canon, sizes, n).join(large, "fingerprint", "left")
     small = canon.filter(F.col("_large").isNull()).join(sizes, "fingerprint", "left_semi")
     both = canon.filter("_large").unionByName(small).groupBy("fingerprint").agg(F.min("_canon").alias("_least"), F.max("_canon").alias("_most"))
     return both.filter("_least <> _most").select("fingerprint")
